@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sentencepiece_fst, tokenfile
+from . import packing, sentencepiece_fst, tokenfile, toxicity, zstd_quality
 from .common import spool_path, table
 
 
@@ -18,6 +18,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zstd_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = spool_path(spark, "tokens")
     tokenfile.write(table(spark, sf_dir, "documents"), path)
@@ -25,7 +33,7 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op10_token_orc)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_toxicity, op8_zstd_quality, op10_token_orc)}
 
 
 def oracle_sql() -> dict[str, str]:
