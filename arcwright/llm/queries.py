@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, sentencepiece_fst, tokenfile, toxicity, url_reputation, zstd_quality
+from . import near_duplicates, packing, quality_rules, sentencepiece_fst, tokenfile, toxicity, url_reputation, zstd_quality
 from .common import spool_path, table
 
 
@@ -30,6 +30,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"), width=4)
+
+
 def op8_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,7 +45,7 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_toxicity, op5_url_reputation, op6_quality_rules, op8_zstd_quality, op10_token_orc)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_toxicity, op5_url_reputation, op6_quality_rules, op7_near_duplicates, op8_zstd_quality, op10_token_orc)}
 
 
 def oracle_sql() -> dict[str, str]:
