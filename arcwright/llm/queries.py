@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates, packing, quality_rules, sentencepiece_fst, tokenfile, toxicity, url_reputation, zstd_quality
+from . import fingerprints, near_duplicates, packing, quality_rules, sentencepiece_fst, tokenfile, toxicity, url_reputation, warc, zstd_quality
 from .common import spool_path, table
 
 
@@ -22,6 +22,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = spool_path(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.histories(spark, path)
+
+
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), url_reputation.outcomes_from_labels(table(spark, sf_dir, "labels")))
 
@@ -38,14 +44,25 @@ def op8_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = spool_path(spark, "tokens")
     tokenfile.write(table(spark, sf_dir, "documents"), path)
     return tokenfile.digest(spark, path)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_toxicity, op5_url_reputation, op6_quality_rules, op7_near_duplicates, op8_zstd_quality, op10_token_orc)}
+    ours = (op1_sentencepiece, op2_packing, op3_toxicity, op4_warc, op5_url_reputation, op6_quality_rules, op7_near_duplicates, op8_zstd_quality, op9_fingerprints, op10_token_orc, pipeline)
+    return {f.__name__: f for f in ours}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -221,3 +221,16 @@ def judge(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int =
     model = fit(docs, labels, folds=folds, held_out=held_out)
     out = score(docs, model)
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages")
+
+
+def keep(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with their own columns; each row is judged by its own text."""
+    model = fit(docs, labels)
+    arrow_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in slices(batches):
+            texts = b.column("text").to_pylist()
+            yield b.filter(pa.array([model.score(model.evidence(tokens(t))[0]) < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
