@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments.
 
 Labelled documents give each token (a word, or the first four or five letters of longer ones) a log-odds with
-an informative Dirichlet prior: the background frequency of the token, as so many documents, is added to either
-class.  Tokens with a significant excess score their log-odds, every other token a small constant drop.  The
+an informative Dirichlet prior: the background frequency of the token, as so large a share of the labelled
+documents, is added to either class.  Tokens with a significant excess score their log-odds, every other token a small constant drop.  The
 linear-time all-maximal-segments scan then finds each passage whose total can't be raised by lengthening or
 shortening it.  Totals are compared across texts of any length by extreme-value statistics: with lambda from
 the score distribution of clean text and K from its observed tail, a passage of total S in a text of n tokens
@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -130,7 +131,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 0, held_out: int = -1, rows: int = 20_000, terms: int = 20_000, prior: float = 5000.0, least_z: float = 6.0, least_docs: int = 5, least_odds: float = 1.0, drop: float = 0.25) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 0, held_out: int = -1, rows: int = 20_000, terms: int = 20_000, prior: float = 0.25, level: float = 0.01, least_docs: int = 5, least_odds: float = 1.0, drop: float = 0.25) -> Model:
     spark = docs.sparkSession
     arrow_batches(spark)
     held = sample(docs, labels, "toxic", folds=folds, held_out=held_out, rows=rows)
@@ -154,6 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 0, held_out: int = -
     if total is None or not total["bad"] or not total["good"]:
         return model
     nb, ng = total["bad"], total["good"]
+    # The prior weighs a share of the labelled documents, and a term's excess must stand out among all terms tried,
+    # so that selection means the same for few labels as for many.
+    prior *= nb + ng
+    least_z = NormalDist().inv_cdf(1 - level / max(1, counts.count() - 1))
     alpha = prior * (F.col("bad") + F.col("good")) / (nb + ng)
     odds = F.log((F.col("bad") + alpha) / (nb + prior - F.col("bad") - alpha)) - F.log((F.col("good") + alpha) / (ng + prior - F.col("good") - alpha))
     z = odds / F.sqrt(1 / (F.col("bad") + alpha) + 1 / (F.col("good") + alpha))
