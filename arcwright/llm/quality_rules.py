@@ -186,7 +186,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = 12_000, bins: int =
 
 def _judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     out = with_statistics(docs).withColumns(learned_statistics())
-    return out.withColumn("base_failed", base_failed()).withColumn("rule", emit(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    # The optimiser would copy the statistics' nested expressions into a filter below them, again and again; it leaves
+    # a column that depends on the task where it is.
+    placed = F.spark_partition_id() >= 0
+    return out.withColumn("base_failed", base_failed()).withColumn("rule", emit(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull() & placed)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,10 +204,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = learn(docs, labels)
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col("text"))
-    # The optimiser would copy the statistics' nested expressions into a filter below them, again and again; it leaves
-    # a column that depends on the task where it is.
-    verdict = (F.col("kept") & (F.spark_partition_id() >= 0)).alias("kept")
-    kept = _judged(packed, rules).select("_row", verdict).where("kept").select("_row")
+    kept = _judged(packed, rules).where("kept").select("_row")
     return kept.select(*[F.col("_row")[n].alias(n) for n in names])
 
 
