@@ -6,8 +6,10 @@
 2. Star rounds.  In a bucket, every node is paired with one hub (drawn by hash, so that each of a node's buckets
    may have another), never with all others.  Pairs are confirmed on the full sets; links give components.
    The second round draws stars only in buckets whose nodes still lie in different components.
-3. Sweep.  Within a bucket, nodes of different components that no star has compared are compared with each
-   other: a link inside a component can't change the result, a link between components isn't lost.
+3. Sweep.  Nodes in buckets that still hold several components are compared across components wherever they
+   could link.  Their shingles get one common order, rare cells first; two sets of the wanted similarity must
+   share one of their first shingles, at positions that leave room for the overlap.  That rule is exact, and a
+   passage that very many texts share comes last in the order, so that it pairs nobody.
 
 Two texts at similarity 0.8 share none of the default 32 bands of 4 rows with a probability of 5 in 10^8.
 
@@ -66,6 +68,57 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "node long, hashes array<long>")
 
 
+def cell_counts(docs: DataFrame, width: int, cells: int) -> np.ndarray:
+    """How many shingles of the given documents' sets fall in each of ``cells`` cells (a power of two; the table's size is fixed)."""
+    shift = np.uint64(64 - (cells - 1).bit_length())
+
+    def run(batches):
+        hasher, seen = Hasher(width), np.zeros(cells, np.int64)
+        for b in slices(batches):
+            for_batch = [hasher.set_of(t) for t in b.column("text").to_pylist()]
+            seen += np.bincount((np.concatenate(for_batch) >> shift).astype(np.int64), minlength=cells)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["cell", "n"])
+
+    table = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells, np.int64)
+    out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def prefixes(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """node, size, prefix: the first shingles of each document's set in the common order, as many as a similar set can't all lack."""
+    shift = np.uint64(64 - (len(counts) - 1).bit_length())
+
+    def run(batches):
+        hasher = Hasher(width)
+        for b in slices(batches):
+            sizes, found = [], []
+            for text in b.column("text").to_pylist():
+                s = hasher.set_of(text)
+                sizes.append(len(s))
+                order = np.lexsort((s, counts[(s >> shift).astype(np.int64)]))
+                found.append(s[order[: len(s) - (percent * len(s) + 99) // 100 + 1]])
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+            flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["node", "size", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "node long, size long, prefix array<long>")
+
+
+def _across(docs: DataFrame, swept: DataFrame, width: int, percent: int, cells: int) -> DataFrame:
+    """Pairs (a, b) of nodes in ``swept`` (node, component) that lie in different components and may be similar; none that is similar is left out."""
+    texts = docs.join(swept.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    held = spool(prefixes(texts, width, percent, cell_counts(texts, width, cells)).join(swept, "node"), "prefixes")
+    rows = held.select("node", "size", "component", F.posexplode("prefix").alias("at", "key"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rows = spool(rows.join(mixed, "key", "left_semi").select("node", "size", "component", "at", "key"), "inside")
+    other = rows.toDF("other", "other_size", "other_component", "other_at", "key")
+    # At the first shared shingle, what follows in either set must hold the overlap that the similarity takes.
+    room = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at")) * (100 + percent) >= percent * (F.col("size") + F.col("other_size"))
+    return rows.join(other, "key").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("other_component")) & room).select(*_ordered("node", "other"))
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity, written to the shared folder."""
     wanted = spool(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
@@ -79,7 +132,7 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def links_of_nodes(docs: DataFrame, nodes: DataFrame, *, width: int, percent: int, first_bands: int) -> DataFrame | None:
+def links_of_nodes(docs: DataFrame, nodes: DataFrame, *, width: int, percent: int, first_bands: int, cells: int) -> DataFrame | None:
     """node, component of all nodes that have a link (node, size, bands in ``nodes``); null if there is none."""
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of other sizes can't be so similar
     known = spool(nodes.select("node", F.col("node").alias("component")).limit(0), "components")
@@ -93,9 +146,8 @@ def links_of_nodes(docs: DataFrame, nodes: DataFrame, *, width: int, percent: in
         buckets = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", draw).alias("hub"), F.min_by("size", draw).alias("hub_size"), F.min_by("component", draw).alias("hub_component"))
         buckets = spool(buckets.where("low < high").drop("low", "high"), "buckets")
         if stage == "sweep":
-            held = spool(inside.join(buckets.select("key"), "key", "left_semi").select("node", "size", "component", "key"), "inside")
-            other = held.toDF("other", "other_size", "other_component", "key")
-            pairs = held.join(other, "key").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("other_component")) & fits("size", "other_size")).select(*_ordered("node", "other"))
+            swept = spool(inside.join(buckets.select("key"), "key", "left_semi").select("node", "component").distinct(), "swept")
+            pairs = _across(docs, swept, width, percent, cells)
         else:
             pairs = inside.join(buckets, "key").where((F.col("component") != F.col("hub_component")) & fits("size", "hub_size")).select(*_ordered("node", "hub"))
         pairs = spool(pairs.distinct(), "pairs")
@@ -108,7 +160,7 @@ def links_of_nodes(docs: DataFrame, nodes: DataFrame, *, width: int, percent: in
     return known if found is not None else None
 
 
-def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, first_bands: int = 8) -> DataFrame:
+def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, first_bands: int = 8, cells: int = 1 << 18) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
     Links join documents whose sets have 100 * intersection >= ``percent`` * union; ``component_id`` is the
@@ -118,7 +170,7 @@ def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int =
     equal = spool(every.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node")), "equal-sets")
     named = every.join(equal, "set_key", "left")
     nodes = spool(named.where(F.col("doc_id") == F.col("node")).select("node", F.col("n_shingles").alias("size"), "bands").dropDuplicates(["node", "bands"]), "nodes")
-    known = links_of_nodes(docs, nodes, width=width, percent=percent, first_bands=first_bands)
+    known = links_of_nodes(docs, nodes, width=width, percent=percent, first_bands=first_bands, cells=cells)
     # Rows that share an id are one document: equal sets under different ids tie those ids together as well.
     out = named.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
     if known is not None:
