@@ -4,8 +4,9 @@ Labelled good and bad texts give a zstandard dictionary each.  A text is compres
 difference of the two sizes, as a share of their sum, tells which kind of text it resembles, and a logistic
 fit on labelled texts that weren't used for the dictionaries turns it into a score.
 
-Bounded: the labelled sample (``rows``) and each dictionary's training texts (``texts`` whole texts, at most
-``sample_mb`` of them), all parameters.  Every document is compressed whole.
+Bounded: the labelled sample (``rows``) and each dictionary's training texts (``texts`` texts, at most
+``sample_mb`` of them; of a text longer than the dictionary, its first ``dictionary_kb``, so that no single text
+uses up the sample), all parameters.  Every document is compressed whole.
 
 Defined results: null and empty texts have the difference 0 (their score is the fit's at 0); ties and repeated
 rows score alike; without labels of both kinds the score is 1 everywhere (nothing is known to be bad); extra
@@ -65,11 +66,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 0, held_out: int = -
 
     held = sample(docs, labels, "quality", folds=folds, held_out=held_out, rows=rows)
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit("part")), "doc_id")
-    ranked = held.withColumn("place", F.row_number().over(order)).withColumn("size", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    part = min(dictionary_kb << 10, sample_mb << 20)
+    length = F.least(F.octet_length("text"), F.lit(part))
+    ranked = held.withColumn("place", F.row_number().over(order)).withColumn("size", F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     n = Window.partitionBy("label")
     ranked = ranked.withColumn("first", (F.col("place") <= F.least(F.lit(texts), F.count("*").over(n) * 0.6)) & (F.col("size") <= sample_mb << 20))
-    chosen = ranked.where("first").select("label", "text").collect()
-    kinds = {y: [r["text"].encode() for r in chosen if r["label"] == y] for y in (0, 1)}
+    chosen = ranked.where("first").select("label", F.substring(F.col("text").cast("binary"), 1, part).alias("part")).collect()
+    kinds = {y: [bytes(r["part"]) for r in chosen if r["label"] == y] for y in (0, 1)}
     if not kinds[0] or not kinds[1]:
         return Model(level=level)
 
