@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import slices
-from .common import arrow_batches, spool
+from .common import arrow_batches, spool, words_of
 from .components import components
 from .shingles import Hasher, Sketcher
 
@@ -132,11 +132,17 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def links_of_nodes(docs: DataFrame, nodes: DataFrame, *, width: int, percent: int, first_bands: int, cells: int) -> DataFrame | None:
-    """node, component of all nodes that have a link (node, size, bands in ``nodes``); null if there is none."""
+def _ties(named: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of rows that share an id (doc_id, node in ``named``)."""
+    mixed = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("doc_id is not null and a < high").select("doc_id", "a")
+    return spool(named.join(mixed, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "ties")
+
+
+def links_of_nodes(docs: DataFrame, nodes: DataFrame, ties: DataFrame, *, width: int, percent: int, first_bands: int, cells: int) -> DataFrame | None:
+    """node, component of all nodes that have a link (node, size, bands in ``nodes``), ``ties`` among them; null if there is none."""
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of other sizes can't be so similar
-    known = spool(nodes.select("node", F.col("node").alias("component")).limit(0), "components")
-    found: DataFrame | None = None
+    found = ties if ties.limit(1).count() else None
+    known = components(found) if found is not None else spool(nodes.select("node", F.col("node").alias("component")).limit(0), "components")
     for stage in ("first", "stars", "sweep"):
         bands = F.slice("bands", 1, first_bands) if stage == "first" else F.col("bands")
         placed = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -170,9 +176,9 @@ def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int =
     equal = spool(every.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node")), "equal-sets")
     named = every.join(equal, "set_key", "left")
     nodes = spool(named.where(F.col("doc_id") == F.col("node")).select("node", F.col("n_shingles").alias("size"), "bands").dropDuplicates(["node", "bands"]), "nodes")
-    known = links_of_nodes(docs, nodes, width=width, percent=percent, first_bands=first_bands, cells=cells)
-    # Rows that share an id are one document: equal sets under different ids tie those ids together as well.
+    # Rows that share an id are one document: their nodes are tied together whatever their texts.
     out = named.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
+    known = links_of_nodes(docs, nodes, _ties(out.select("doc_id", "node")), width=width, percent=percent, first_bands=first_bands, cells=cells)
     if known is not None:
         out = out.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     else:
@@ -181,6 +187,17 @@ def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int =
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its component."""
+    """One row of each document that has the smallest id of its component, and every row without an id.
+
+    Of the rows that share an id, one that has words is kept, the first as JSON.
+    """
+    names = [F.col(f"`{n}`") for n in docs.columns]
     gone = spool(classes(docs, **how).where("not kept").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{n}`") for n in docs.columns])
+    left = docs.join(gone, "doc_id", "left_anti").select(*names)
+    repeated = spool(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not repeated.limit(1).count():
+        return left
+    row = F.struct(*names)
+    wordless = F.size(words_of(F.col("text"))) == 0
+    one = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(wordless, F.to_json(row))).alias("row"))
+    return left.join(repeated, "doc_id", "left_anti").select(*names).unionAll(one.select("row.*"))
