@@ -8,8 +8,9 @@
    The second round draws stars only in buckets whose nodes still lie in different components.
 3. Sweep.  Nodes in buckets that still hold several components are compared across components wherever they
    could link.  Their shingles get one common order, rare cells first; two sets of the wanted similarity must
-   share one of their first shingles, at positions that leave room for the overlap.  That rule is exact, and a
-   passage that very many texts share comes last in the order, so that it pairs nobody.
+   share one of their first shingles, at positions that leave room for the overlap, and their bitmaps can't differ
+   in more bits than the sets may in shingles.  Both rules are exact.  A passage that very many texts share comes
+   last in the order, so that it pairs nobody; a crowd of texts just below the similarity fails by its bitmaps.
 
 Two texts at similarity 0.8 share none of the default 32 bands of 4 rows with a probability of 5 in 10^8.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import slices
@@ -86,37 +87,65 @@ def cell_counts(docs: DataFrame, width: int, cells: int) -> np.ndarray:
     return out
 
 
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """A set's bitmap of 64 to 4096 bits, two a shingle: whether an odd number of shingles falls on each bit.
+
+    Where two bitmaps differ, the sets hold different shingles: the differing bits never outnumber those.
+    """
+    size = 1 << min(max((2 * len(s) - 1).bit_length(), 6), 12)
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefixes(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """node, size, prefix: the first shingles of each document's set in the common order, as many as a similar set can't all lack."""
+    """node, size, bits, prefix: the first shingles of each document's set in the common order, as many as a similar set can't all lack."""
     shift = np.uint64(64 - (len(counts) - 1).bit_length())
 
+    def ragged(parts: list[np.ndarray]) -> pa.ListArray:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)))
+
     def run(batches):
         hasher = Hasher(width)
         for b in slices(batches):
-            sizes, found = [], []
+            sizes, bits, found = [], [], []
             for text in b.column("text").to_pylist():
                 s = hasher.set_of(text)
                 sizes.append(len(s))
+                bits.append(parity_bits(s))
                 order = np.lexsort((s, counts[(s >> shift).astype(np.int64)]))
                 found.append(s[order[: len(s) - (percent * len(s) + 99) // 100 + 1]])
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-            flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), ragged(bits), ragged(found)], names=["node", "size", "bits", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "node long, size long, bits array<long>, prefix array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "node long, size long, prefix array<long>")
+def _differing(a: str, b: str) -> Column:
+    """In how many bits two bitmaps differ; the longer one is folded to the other's length."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    words = F.least(F.size(a), F.size(b))
+    folded = lambda c: F.when(F.size(c) == words, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, words), F.slice(c, words + 1, words), xor))
+    return F.aggregate(F.zip_with(folded(a), folded(b), xor), F.lit(0), lambda n, x: n + F.bit_count(x))
 
 
 def _across(docs: DataFrame, swept: DataFrame, width: int, percent: int, cells: int) -> DataFrame:
-    """Pairs (a, b) of nodes in ``swept`` (node, component) that lie in different components and may be similar; none that is similar is left out."""
+    """Pairs (a, b) of nodes in ``swept`` (node, component) that lie in different components and may be similar; none that is similar is left out.
+
+    The conditions are the join's own, so that a crowd of texts below the similarity is compared but not written out.
+    """
     texts = docs.join(swept.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     held = spool(prefixes(texts, width, percent, cell_counts(texts, width, cells)).join(swept, "node"), "prefixes")
-    rows = held.select("node", "size", "component", F.posexplode("prefix").alias("at", "key"))
+    rows = held.select("node", "size", "component", "bits", F.posexplode("prefix").alias("at", "key"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rows = spool(rows.join(mixed, "key", "left_semi").select("node", "size", "component", "at", "key"), "inside")
-    other = rows.toDF("other", "other_size", "other_component", "other_at", "key")
+    rows = spool(rows.join(mixed, "key", "left_semi").select("node", "size", "component", "bits", "at", "key"), "inside")
+    other = rows.toDF("other", "other_size", "other_component", "other_bits", "other_at", "key")
     # At the first shared shingle, what follows in either set must hold the overlap that the similarity takes.
     room = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at")) * (100 + percent) >= percent * (F.col("size") + F.col("other_size"))
-    return rows.join(other, "key").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("other_component")) & room).select(*_ordered("node", "other"))
+    # What differs between two sets of the similarity is bounded; sizes that fit are at most a fold apart.
+    fits = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
+    alike = _differing("bits", "other_bits") * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("other_size"))
+    different = (F.col("node") < F.col("other")) & (F.col("component") != F.col("other_component"))
+    return rows.join(other, "key").where(different & room & fits & alike).select(*_ordered("node", "other"))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -143,11 +172,13 @@ def links_of_nodes(docs: DataFrame, nodes: DataFrame, ties: DataFrame, *, width:
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of other sizes can't be so similar
     found = ties if ties.limit(1).count() else None
     known = components(found) if found is not None else spool(nodes.select("node", F.col("node").alias("component")).limit(0), "components")
+    # Buckets of one node, which are most, are left out once for all stages.
+    banded = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    shared = spool(banded.join(shared, "key", "left_semi").select("node", "size", "band", "key"), "shared")
     for stage in ("first", "stars", "sweep"):
-        bands = F.slice("bands", 1, first_bands) if stage == "first" else F.col("bands")
-        placed = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = placed.select("node", "size", "component", bands.alias("bands")) if stage == "first" else spool(placed, "placed")
-        inside = placed.select("node", "size", "component", F.explode("bands").alias("key"))
+        inside = shared.where(F.col("band") < first_bands) if stage == "first" else shared
+        inside = spool(inside.join(known, "node", "left").select("node", "size", F.coalesce("component", "node").alias("component"), "key"), "placed")
         draw = F.xxhash64("node", "key")
         buckets = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", draw).alias("hub"), F.min_by("size", draw).alias("hub_size"), F.min_by("component", draw).alias("hub_component"))
         buckets = spool(buckets.where("low < high").drop("low", "high"), "buckets")
