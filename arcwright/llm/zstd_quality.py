@@ -9,8 +9,8 @@ Bounded: the labelled sample (``rows``) and each dictionary's training texts (``
 uses up the sample), all parameters.  Every document is compressed whole.
 
 Defined results: null and empty texts have the difference 0 (their score is the fit's at 0); ties and repeated
-rows score alike; without labels of both kinds the score is 1 everywhere (nothing is known to be bad); extra
-columns are ignored.
+rows score alike; a single labelled text of a kind makes both the dictionary and the fit; without labels of both
+kinds the score is 1 everywhere (nothing is known to be bad); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import slices
@@ -65,16 +65,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 0, held_out: int = -
     import zstandard
 
     held = sample(docs, labels, "quality", folds=folds, held_out=held_out, rows=rows)
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit("part")), "doc_id")
     part = min(dictionary_kb << 10, sample_mb << 20)
-    length = F.least(F.octet_length("text"), F.lit(part))
-    ranked = held.withColumn("place", F.row_number().over(order)).withColumn("size", F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    n = Window.partitionBy("label")
-    ranked = ranked.withColumn("first", (F.col("place") <= F.least(F.lit(texts), F.count("*").over(n) * 0.6)) & (F.col("size") <= sample_mb << 20))
-    chosen = ranked.where("first").select("label", F.substring(F.col("text").cast("binary"), 1, part).alias("part")).collect()
-    kinds = {y: [bytes(r["part"]) for r in chosen if r["label"] == y] for y in (0, 1)}
-    if not kinds[0] or not kinds[1]:
+    held = held.withColumn("draw", F.xxhash64("doc_id", F.lit("part"))).withColumn("name", F.xxhash64("doc_id", "text"))
+    counts = {r["label"]: r["count"] for r in held.groupBy("label").count().collect()}  # one row a label
+    if not counts.get(0) or not counts.get(1):
         return Model(level=level)
+    names: list[int] = []
+    for y in (0, 1):
+        # The first texts of each kind by hash, without their texts: at most ``texts`` rows, found by a bounded heap in each task.
+        most = max(1, min(texts, int(counts[y] * 0.6)))
+        first = held.where(F.col("label") == y).select("name", F.least(F.octet_length("text"), F.lit(part)).alias("size"), "draw", "doc_id")
+        room = sample_mb << 20
+        for r in first.orderBy("draw", "doc_id", "name").limit(most).collect():
+            if r["size"] <= room:
+                room -= r["size"]
+                names.append(r["name"])
+    first = F.col("name").isin(names)
+    chosen = held.where(first).select("label", F.substring(F.col("text").cast("binary"), 1, part).alias("part")).collect()
+    kinds = {y: [bytes(r["part"]) for r in chosen if r["label"] == y] for y in (0, 1)}
+    # The only text of its kind serves for the dictionary and for the fit.
+    lonely = [y for y in (0, 1) if counts[y] == len(kinds[y])]
 
     def dictionary(parts: list[bytes]) -> bytes:
         size = dictionary_kb << 10
@@ -91,10 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 0, held_out: int = -
             sizes = model.sizes(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("label"), *[pa.array(c) for c in sizes.T]], names=["label", "good", "bad", "plain"])
 
-    seen = ranked.where(~F.col("first")).select("label", "text").mapInArrow(measured, "label int, good double, bad double, plain double").collect()  # at most ``rows``
+    seen = held.where(~first | F.col("label").isin(lonely)).select("label", "text").mapInArrow(measured, "label int, good double, bad double, plain double").collect()  # at most ``rows``
     y = np.array([r["label"] for r in seen], float)
-    if len(set(y)) < 2:
-        return Model(level=level)
     x = model.inputs(np.array([[r["good"], r["bad"], r["plain"]] for r in seen]))
     model.weights = tuple(map(float, logistic(x, y)))
     return model
