@@ -2,12 +2,13 @@
 
 Writing: of records with equal payloads the one with the largest page id is the response, the others revisit it.
 Digests with more than one record are found first (partial counts before the shuffle) and joined back from a
-table, so that a payload that very many pages share is split between tasks.  Records are text, so Spark's own
-text writer makes the files; the blank lines that end a record are its line separator.
+table, so that a payload that very many pages share is split between tasks.  A record is a gzip member of its own;
+archives hold at most about ``archive_mb`` of members, and each is one file, written by Spark's own writer.
 
-Reading: each archive gives a run of captures, sorted by URL key, time and page.  The runs are dealt out by key
-ranges and merged in each range by a k-way loser tree over run files that spill to disk, which leaves the
-capture histories in one global order.
+Reading: each archive gives a run of captures with their offset and length in it, sorted by URL key, time and page.
+The runs are written once to the shared folder, dealt out by key ranges of bounded size, and merged in each range by a
+k-way loser tree over the pieces of runs that reach it, as columnar batches; of more than ``fan_in`` pieces, the first
+are merged to one before others come.  That leaves the capture histories in one global order.
 
 Defined results: null html is an empty payload; null URLs have no target and the empty key; a null page id
 never is a response that others refer to unless all of the payload's ids are null (then all are responses);
@@ -18,11 +19,9 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
-import pickle
-import tempfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +33,10 @@ from .common import arrow_batches, spool
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, archive string"
+SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, archive string, offset long, length long"
 _NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
+#: What Spark's writer puts behind an archive: gzip readers take a zero byte at the end for padding.
+_PADDING = "\0"
 
 
 class LoserTree:
@@ -75,30 +76,6 @@ class LoserTree:
             self.winner = w
 
 
-class RunFile:
-    """A sorted run: rows in blocks, in memory up to ``limit`` bytes, then in a file that goes with the task."""
-
-    def __init__(self, limit: int = 4 << 20, block: int = 512) -> None:
-        self.file, self.block, self.open, self.last = tempfile.SpooledTemporaryFile(limit), block, [], None
-
-    def add(self, key, row) -> None:
-        self.last = key
-        self.open.append(row)
-        if len(self.open) >= self.block:
-            pickle.dump(self.open, self.file, pickle.HIGHEST_PROTOCOL)
-            self.open = []
-
-    def __iter__(self) -> Iterator:
-        self.file.seek(0)
-        while True:
-            try:
-                yield from pickle.load(self.file)
-            except EOFError:
-                break
-        yield from self.open
-        self.file.close()
-
-
 def url_key(url: str | None) -> str:
     """A sort key: the host's labels from the right, then path and query, all in lower case."""
     scheme, found, rest = (url or "").partition("://")
@@ -110,7 +87,7 @@ def url_key(url: str | None) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, captured: str, refers_to: int | None) -> str:
-    """A record without the blank lines that end it."""
+    """A record with the blank lines that end it."""
     named = lambda i: f"<urn:page:{'none' if i is None else i}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     body = payload.decode() if refers_to is None else ""
@@ -120,32 +97,48 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ca
     if refers_to is not None:
         head += [f"WARC-Refers-To: {named(refers_to)}", f"WARC-Profile: {PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (len(payload) if body else 0)}"]
-    return "\r\n".join(head) + END + http + body
-
-
-def records(data) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """(WARC headers, HTTP headers, payload as stored) of every record of an open archive."""
-    while line := data.readline():
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no record starts at {line[:40]!r}")
-        fields: dict[str, str] = {}
-        while (line := data.readline()) not in (b"\r\n", b""):
-            name, _, value = line.decode().rstrip("\r\n").partition(": ")
-            fields[name.lower()] = value
-        block = data.read(int(fields["content-length"]))
-        if data.read(4) != END.encode():
-            raise ValueError("a record isn't followed by two line ends")
-        head, _, payload = block.partition(END.encode())
-        http = dict(x.lower().split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        yield fields, http, payload
+    return "\r\n".join(head) + END + http + body + END
+
+
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of every gzip member of an archive."""
+    view, at = memoryview(data), 0
+    while at < len(view) and view[at]:
+        coder, parts, here = zlib.decompressobj(zlib.MAX_WBITS | 16), [], at
+        while not coder.eof:
+            if here >= len(view):
+                raise ValueError(f"the record at {at} ends too early")
+            parts.append(coder.decompress(view[here : here + (1 << 18)]))
+            here += 1 << 18
+        here = min(here, len(view)) - len(coder.unused_data)
+        yield at, here - at, b"".join(parts)
+        at = here
+
+
+def record_of(content: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """WARC headers, HTTP headers, payload as stored."""
+    data = io.BytesIO(content)
+    line = data.readline()
+    if not line.startswith(b"WARC/"):
+        raise ValueError(f"no record starts at {line[:40]!r}")
+    fields: dict[str, str] = {}
+    while (line := data.readline()) not in (b"\r\n", b""):
+        name, _, value = line.decode().rstrip("\r\n").partition(": ")
+        fields[name.lower()] = value
+    block = data.read(int(fields["content-length"]))
+    if data.read() != END.encode():
+        raise ValueError("a record isn't followed by two line ends")
+    head, _, payload = block.partition(END.encode())
+    http = dict(x.lower().split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    return fields, http, payload
 
 
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def write(pages: DataFrame, path: str, *, least: int = 0, captured: Column | None = None) -> None:
-    """One record a page, to gzip-compressed archives in ``path``. ``captured``: the capture time (the table has none: seconds from 2024 on, by page id)."""
+def write(pages: DataFrame, path: str, *, least: int = 0, captured: Column | None = None, archive_mb: int = 32, level: int = 6) -> None:
+    """One record a page, to archives in ``path``. ``captured``: the capture time (the table has none: seconds from 2024 on, by page id)."""
     arrow_batches(pages.sparkSession)
     when = captured if captured is not None else F.timestamp_seconds(F.coalesce(F.pmod(F.col("page_id").cast("long"), F.lit(1 << 31)), F.lit(0)) + 1_704_067_200)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -155,24 +148,32 @@ def write(pages: DataFrame, path: str, *, least: int = 0, captured: Column | Non
     refers = F.when((F.octet_length("payload") >= least) & F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), F.col("first"))
 
     def run(batches):
+        held, size = [], 0
         for b in slices(batches):
-            out = []
             for page, url, body, when_, ref in zip(*[b.column(c).to_pylist() for c in ("page_id", "url", "payload", "captured", "refers_to")], strict=True):
-                out.append(record(page, url, body, base32_sha1(body), when_, ref))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    text = rows.select("page_id", "url", "payload", "captured", refers.alias("refers_to")).mapInArrow(run, "value string")
-    text.write.option("lineSep", END).option("compression", "gzip").text(path)
-
-
-def _capture(fields: dict[str, str], http: dict[str, str], payload: bytes, archive: str) -> tuple:
+                coder = zlib.compressobj(level, zlib.DEFLATED, zlib.MAX_WBITS | 16)
+                member = coder.compress(record(page, url, body, base32_sha1(body), when_, ref).encode()) + coder.flush()
+                if held and size + len(member) > archive_mb << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    archives = rows.select("page_id", "url", "payload", "captured", refers.alias("refers_to")).mapInArrow(run, "value binary")
+    # A text of the archive's bytes as they are; one archive a file.
+    archives.select(F.col("value").cast("string").alias("value")).write.option("lineSep", _PADDING).option("maxRecordsPerFile", 1).text(path)
+
+
+def _capture(fields: dict[str, str], http: dict[str, str], payload: bytes) -> tuple:
     number = lambda x: None if x is None or "none" in x else int(x.rpartition(":")[2].rstrip(">"))
     kind = fields["warc-type"]
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
     if kind == "response" and base32_sha1(payload) != digest:
         raise ValueError(f"the payload of {fields['warc-record-id']} doesn't match its digest")
     size = len(payload) if kind == "response" else int(http["content-length"])
-    return number(fields["warc-record-id"]), size, digest, kind, number(fields.get("warc-refers-to")), url_key(fields.get("warc-target-uri")), fields["warc-date"], archive
+    return number(fields["warc-record-id"]), size, digest, kind, number(fields.get("warc-refers-to")), url_key(fields.get("warc-target-uri")), fields["warc-date"]
 
 
 def _order(row: tuple) -> tuple:
@@ -180,44 +181,68 @@ def _order(row: tuple) -> tuple:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    long, text = pa.int64(), pa.string()
+    kinds = [long, long, text, text, long, text, text, text, long, long]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=_NAMES)
 
 
+def _batches(rows: Iterator[tuple], size: int = 4096) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield _batch(held)
+            held = []
+    if held:
+        yield _batch(held)
+
+
+def _rows(batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of each archive as one sorted run."""
+    """The captures of each archive as one sorted run, written to the shared folder."""
     arrow_batches(spark)
 
     def run(batches):
         for b in batches:
             for name, data in zip(b.column("archive").to_pylist(), b.column("content"), strict=True):
-                with gzip.open(io.BytesIO(data.as_py())) as f:
-                    found = sorted((_capture(*r, name) for r in records(f)), key=_order)
-                for a in range(0, len(found), 4096):
-                    yield _batch(found[a : a + 4096])
+                found = [(*_capture(*record_of(content)), name, offset, length) for offset, length, content in members(data.as_py())]
+                yield from _batches(iter(sorted(found, key=_order)))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return spool(files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content").mapInArrow(run, SCHEMA), "runs")
+
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content").mapInArrow(run, SCHEMA)
+def read_record(archive: bytes, offset: int, length: int) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """The record that an index row points at: no other part of the archive is decompressed."""
+    return record_of(zlib.decompress(archive[offset : offset + length], zlib.MAX_WBITS | 16))
 
 
-def histories(spark: SparkSession, path: str) -> DataFrame:
-    """All captures in ascending order of URL key, time and page id, range by range."""
+def histories(spark: SparkSession, path: str, *, range_rows: int = 500_000, fan_in: int = 256) -> DataFrame:
+    """All captures in ascending order of URL key, time and page id, range by range; a range has about ``range_rows`` captures."""
 
     def merge(batches):
-        held: dict[str, list[RunFile]] = {}
+        closed: list[list[pa.RecordBatch]] = [[]]
+        last = None
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                key, mine = _order(row), held.setdefault(row[7], [])
-                if not mine or mine[-1].last > key:  # a shuffle may deliver a run in parts
-                    mine.append(RunFile())
-                mine[-1].add(key, row)
-        tree, out = LoserTree([iter(r) for part in held.values() for r in part], _order), []
-        for row in tree:
-            out.append(row)
-            if len(out) == 4096:
-                yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
-
-    return runs(spark, path).repartitionByRange("url_key", "captured", "page_id").mapInArrow(merge, SCHEMA)
+            rows = zip(b.column("url_key").to_pylist(), b.column("captured").to_pylist(), b.column("page_id").to_pylist(), strict=True)
+            start = 0
+            for k, (url, when, page) in enumerate(rows):
+                key = (url, when, -1 if page is None else page)
+                if last is not None and key < last:  # another run begins
+                    if k > start:
+                        closed[-1].append(b.slice(start, k - start))
+                    if len(closed) >= fan_in:
+                        closed = [list(_batches(iter(LoserTree([_rows(x) for x in closed], _order))))]
+                    closed.append([])
+                    start = k
+                last = key
+            closed[-1].append(b.slice(start))
+        yield from _batches(iter(LoserTree([_rows(x) for x in closed], _order)))
+
+    found = runs(spark, path)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // range_rows))
+    return found.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(merge, SCHEMA)
