@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-The model file is compiled to three transducers: the normaliser (dummy prefix, white space to the marker
-U+2581), the pieces (a trie whose final states emit a piece) and the byte fallback (a character that no piece
-spells emits its UTF-8 bytes).  An input is composed with them position by position, which gives a lattice of
-(position, last piece) states; the encoding is its shortest path in the tropical semiring.
+The model file is compiled to three transducers: the normaliser (a trie of the model's character map whose longest
+match is rewritten, then white space to the marker U+2581 and the dummy prefix), the pieces (a trie whose final states
+emit a piece) and the byte fallback (an arc for a character that no piece spells, which emits its UTF-8 bytes).  An
+input is composed with them position by position, which gives a lattice of (position, last piece) states whose arcs
+carry a weight and the ids they emit; the encoding is its shortest path in the tropical semiring.
 
 * Unigram models: an arc weighs minus the piece's score, so the path is the most likely segmentation.
 * BPE models: merge order is no sum of scores, so the lattice is composed with one more acceptor over pairs
@@ -13,6 +14,8 @@ spells emits its UTF-8 bytes).  An input is composed with them position by posit
 No piece crosses from other text into a white-space marker, nor (where the vocabulary has none such) from a
 letter into a punctuation mark, so that a lattice falls apart there; a worker keeps the paths of the parts it has met.  The memo bounds memory, results don't depend on it.
 
+Refused (NotImplementedError): models with user-defined symbols, or with pieces that cross from one word into the next.
+
 Defined results: null or empty text: no ids, decoded to the empty text; repeated rows and null ids are treated
 like any other; extra columns are ignored; the length of a text isn't bounded.
 """
@@ -68,6 +71,69 @@ def _fields(data: bytes):
             at += size
 
 
+class Normaliser:
+    """The character map as a transducer: states are the nodes of a trie of sources, final ones emit what replaces them."""
+
+    def __init__(self, blob: bytes) -> None:
+        self.trie: dict = {}
+        for source, target in self._entries(blob) if blob else ():
+            node = self.trie
+            for c in source:
+                node = node.setdefault(c, {})
+            node[""] = target
+        deeper: set[str] = set()
+        front = [(n, 1) for n in self.trie.values()]
+        while front:
+            node, _ = front.pop()
+            below = [(c, n) for c, n in node.items() if c]
+            deeper.update(c for c, _ in below)
+            front += [(n, 1) for _, n in below]
+        single = {c for c, n in self.trie.items() if "" in n}
+        # A text without these characters is its own image: nothing in it is rewritten alone or as part of more.
+        touched = "".join(re.escape(c) for c in sorted(single | deeper))
+        self.touched = re.compile(f"[{touched}]") if touched else None
+
+    @staticmethod
+    def _entries(blob: bytes):
+        """(source, target) of the map: a double-array trie over UTF-8 bytes, then the targets, each ended by a zero byte."""
+        size = int.from_bytes(blob[:4], "little")
+        units, targets = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+        offset = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+        labels = np.arange(1, 256, dtype=np.int64)
+        front, spelt = np.array([offset(units[0])], np.int64), [b""]
+        while len(front):
+            at = front[:, None] ^ labels[None, :]
+            inside = at < len(units)
+            unit = units[np.where(inside, at, 0)]
+            rows, columns = np.nonzero(inside & ((unit & ((1 << 31) | 0xFF)) == labels))
+            hit = unit[rows, columns]
+            spelt = [spelt[r] + bytes([c + 1]) for r, c in zip(rows.tolist(), columns.tolist(), strict=True)]
+            front = at[rows, columns] ^ offset(hit)
+            for k in np.flatnonzero((hit >> 8) & 1):
+                value = int(units[front[k]] & 0x7FFFFFFF)
+                yield spelt[k].decode(), targets[value : targets.index(b"\0", value)].decode()
+
+    def apply(self, text: str) -> str:
+        if self.touched is None or not self.touched.search(text):
+            return text
+        out, at, n, trie = [], 0, len(text), self.trie
+        while at < n:
+            node, k, best = trie.get(text[at]), at + 1, None
+            while node is not None:
+                if "" in node:
+                    best = (k, node[""])
+                if k >= n:
+                    break
+                node, k = node.get(text[k]), k + 1
+            if best is None:
+                out.append(text[at])
+                at += 1
+            else:
+                at = best[0]
+                out.append(best[1])
+        return "".join(out)
+
+
 class Model:
     """A compiled model; one per Python worker and path."""
 
@@ -90,13 +156,14 @@ class Model:
                     trainer = dict(_fields(value))
                 elif number == 3:
                     normal = dict(_fields(value))
-        if normal.get(2):
-            raise NotImplementedError("models with a character map aren't supported")
+        self.normaliser = Normaliser(bytes(normal.get(2, b"")))
+        if USER in self.kinds:
+            raise NotImplementedError("user-defined symbols aren't supported")
         self.bpe = trainer.get(3, UNIGRAM) == BPE
         self.prefix, self.squeeze = bool(normal.get(3, 1)), bool(normal.get(4, 1))
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = [i for i, k in enumerate(self.kinds) if k == BYTE]
-        self.id = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
+        self.id = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
         self.longest = max(map(len, self.id))
         self.lowest = min((s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL), default=0.0)
         if any(MARK in p.lstrip(MARK) for p in self.id):
@@ -148,8 +215,13 @@ class Model:
             held = self.pair[key] = self.merged(left + right) == ([left, right] if left else [right])
         return held
 
+    def emitted(self, piece: str) -> tuple[int, ...]:
+        """The ids on the arc: of a piece its own, of a character that is none its bytes, or the unknown one."""
+        i = self.id.get(piece)
+        return (i,) if i is not None else tuple(self.bytes[b] for b in piece.encode()) if self.bytes else (self.unknown,)
+
     def arcs(self, text: str, end: int):
-        """Pieces that end here, by walking the trie of reversed pieces; a character that is no piece falls back."""
+        """Pieces that end here, by walking the trie of reversed pieces; a character that is no piece has the fallback's arc."""
         tails, known, found = self.tails, self.id, []
         for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
             part = text[start:end]
@@ -161,23 +233,28 @@ class Model:
             found.insert(0, (end - 1, text[end - 1 : end]))
         return reversed(found)
 
-    def step(self, text: str, end: int, best: list) -> tuple[float, int, str] | None:
-        """The lightest state at this position: weight, where its last piece starts, that piece; None if none has finite weight."""
+    def step(self, text: str, end: int, best: list) -> tuple[float, int, str, tuple[int, ...]] | None:
+        """The lightest state at this position: weight, where its last piece starts, that piece and its ids; None if none has finite weight."""
         if self.bpe:
             for start, piece in self.arcs(text, end):
                 if (before := best[start]) is not None and self._fits(before[2], piece):
-                    return 0.0, start, piece
+                    return 0.0, start, piece, self.emitted(piece)
             return None
-        weigh = lambda piece: -self.scores[self.id[piece]] if piece in self.id else 10.0 - self.lowest
-        return min(((best[start][0] + weigh(piece), start, piece) for start, piece in self.arcs(text, end)), key=lambda x: x[0])
+        found = None
+        for start, piece in self.arcs(text, end):
+            i = self.id.get(piece)
+            weight = best[start][0] + np.float32(-self.scores[i] if i is not None else 10.0 - self.lowest)
+            if found is None or weight < found[0]:  # of equal ones the longest piece, which comes first
+                found = (weight, start, piece)
+        return (*found, self.emitted(found[2]))
 
     def paths(self, texts: list[str]):
-        """Each text with the pieces of its shortest path, in sorted order.
+        """Each text with what the arcs of its shortest path emit, in sorted order.
 
         The lattices of texts that begin alike are one up to where they part (the sorted texts are walked as
         the trie that accepts them), so that each common beginning is composed once.
         """
-        best: list = [(0.0, 0, "")]
+        best: list = [(np.float32(0), 0, "", ())]
         last = ""
         for text in sorted(texts):
             same = 0
@@ -190,24 +267,16 @@ class Model:
                 best.append(self.step(text, end, best))
             last, out, at = text, [], len(text)
             while at:
-                _, at, piece = best[at]
-                out.append(piece)
+                _, at, _, ids = best[at]
+                out.append(ids)
             yield text, out[::-1]
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids of normalised texts."""
+        """Ids of normalised texts; unknown characters in a row are one."""
         done = {}
-        for text, pieces in self.paths(texts):
-            out: list[int] = []
-            for piece in pieces:
-                i = self.id.get(piece)
-                if i is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out.extend([self.bytes[b] for b in piece.encode()])
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
-            done[text] = out
+        for text, emitted in self.paths(texts):
+            flat = list(itertools.chain.from_iterable(emitted))
+            done[text] = [i for k, i in enumerate(flat) if i != self.unknown or k == 0 or flat[k - 1] != i]
         return [done[t] for t in texts]
 
     def _encode_units(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,6 +285,8 @@ class Model:
 
     def normalise(self, texts: pa.StringArray) -> pa.StringArray:
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self.normaliser.touched is not None:
+            texts = pa.array([self.normaliser.apply(t) for t in texts.to_pylist()], pa.string())
         if self.squeeze:
             texts = pc.utf8_trim(pc.replace_substring_regex(texts, " +", " "), " ")
         texts = pc.replace_substring(texts, " ", MARK)
