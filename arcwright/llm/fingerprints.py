@@ -21,6 +21,8 @@ from .common import words_of
 BINS, BITS, WIDTH = 128, 8, 5
 _SHIFT = 64 - (BINS - 1).bit_length()
 _LEAST = -(1 << 63)
+#: Bytes of text in a range of ids, about.
+_RANGE_BYTES = 64 << 20
 
 
 def with_bins(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -63,7 +65,8 @@ def with_successor(df: DataFrame, columns: list[str]) -> DataFrame:
     guest, so that every range can be ordered by itself; there are as many guests as ranges.
     """
     spark = df.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = df.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // _RANGE_BYTES))
     rank = F.coalesce(F.col("doc_id"), F.lit(_LEAST))
     df = df.withColumn("_o", rank)
     ids = df.select("_o")
@@ -72,22 +75,38 @@ def with_successor(df: DataFrame, columns: list[str]) -> DataFrame:
     tops = sorted((r["_p"], r["top"]) for r in ids.groupBy(place.alias("_p")).agg(F.max("_o").alias("top")).collect())  # one row a range
     # The range that follows upwards needs this range's first row; the lowest needs the highest's.
     guests = [(top, tops[(k + 1) % len(tops)][0]) for k, (_, top) in enumerate(tops)]
-    frame = spark.createDataFrame(guests or [(0, 0)], "_o long, _to int")
-    df = df.withColumn("_p", place).join(F.broadcast(frame), "_o", "left")
+    receiver = F.lit(None).cast("int")
+    if guests:
+        receiver = F.try_element_at(F.create_map(*[F.lit(x).cast("long" if k % 2 == 0 else "int") for pair in guests for k, x in enumerate(pair)]), F.col("_o"))
+    df = df.withColumn("_p", place).withColumn("_to", receiver)
     sent = F.array_compact(F.array(F.struct(F.col("_p").alias("p"), F.lit(0).alias("g")), F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("p"), F.lit(1).alias("g")))))
     dealt = df.withColumn("_s", F.explode(sent)).withColumn("_p", F.col("_s.p")).withColumn("_g", F.col("_s.g")).drop("_s", "_to")
+    # A range is one partition: hashed, several could meet in one task while others had none.
+    dealt = dealt.repartitionById(ranges, F.col("_p"))
     order = Window.partitionBy("_p").orderBy("_g", F.desc("_o"), F.xxhash64("text"), "text")
     for c in columns:
         dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
     return dealt.where("_g = 0").drop("_p", "_g", "_o")
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    df = with_successor(with_bins(df, "text", "bins"), ["text", "bins"])
+def _with_edited(df: DataFrame) -> DataFrame:
+    """Adds n_chars and edited: the text whose last half of characters is the start of ``next_text``."""
     df = df.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
+    return df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def edited_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars and the edited text of every document."""
+    return _with_edited(with_successor(_texts(docs), ["text"])).select("doc_id", "n_chars", "edited")
+
+
+def edited(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    df = _with_edited(with_successor(with_bins(_texts(docs), "text", "bins"), ["text", "bins"]))
     df = with_bins(df.drop("text", "next_text").withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_bins")
     return df.select("doc_id", "n_chars", "edited_sha256", spelt(F.col("bins")).alias("fingerprint"), spelt(F.col("edited_bins")).alias("edited_fingerprint"), likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"), likeness(F.col("bins"), F.col("next_bins")).alias("near_next"))
