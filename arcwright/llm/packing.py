@@ -15,7 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import DEFAULT_VOCABULARY, ByteBpe, slices, vocabulary_path
@@ -70,5 +70,10 @@ def pack(docs: DataFrame, *, longest: int = 2048, end_id: int = 1, vocabulary: s
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """The packed ids as Parquet, a folder for each sequence length."""
+    """The packed ids (of ``pack(with_ids=True)``) as Parquet, a folder for each sequence length: batches of one shape come from one folder."""
     pieces.withColumn("bucket", F.col("length")).write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+
+
+def read_bucket(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """The sequences of one length; no other folder is read."""
+    return spark.read.parquet(path).where(F.col("bucket") == length)

@@ -178,12 +178,21 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = 12_000, bins: int =
         seen = [x + y for x, y in zip(counts(grow, conditions), counts(prune, conditions), strict=True)]
         if not conditions or seen[1] < least_bad or smoothed(*seen) < least_precision:
             break
-        rules.append(Rule(tuple((names[k], above, at[names[k]][j]) for k, above, j in conditions), sum(seen), seen[1]))
+        # Of two bounds on one side of a statistic only the closer one tells anything.
+        closest: dict[tuple[int, bool], int] = {}
+        for k, above, j in conditions:
+            closest[k, above] = max(closest.get((k, above), j), j) if above else min(closest.get((k, above), j), j)
+        rules.append(Rule(tuple((names[k], above, at[names[k]][j]) for (k, above), j in closest.items()), sum(seen), seen[1]))
         grow = [c for c in grow if not fits(c, conditions)]
         prune = [c for c in prune if not fits(c, conditions)]
     return rules
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, the base statistics and base_failed of every document."""
+    return with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))).select("doc_id", *BASE, base_failed().alias("base_failed"))
+
+
 def _judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     out = with_statistics(docs).withColumns(learned_statistics())
     # The optimiser would copy the statistics' nested expressions into a filter below them, again and again; it leaves

@@ -9,6 +9,10 @@ the score distribution of clean text and K from its observed tail, a passage of
 has the expected number of equals K n exp(-lambda S).  A document's evidence sums the significant passages'
 minus log expectations; a logistic fit on the labelled sample turns it into a score.
 
+Where clean text's scores have no positive root, lambda is ``lam_else``; it is at most ``lam_most``, as few hits in
+little clean text would make it as large as one likes.  The log-odds of tokens without significant excess aren't told
+apart from 0 by the sample; the drop stands for all of them.
+
 Bounded: the labelled sample (``rows``) and the lexicon (``terms``), both parameters.  All else covers all data.
 
 Defined results: null or empty texts have no passage and get the score of no evidence; ties and repeated rows
@@ -105,11 +109,11 @@ def maximal_segments(hits: list[tuple[int, float]], drop: float) -> list[tuple[i
     return [(a, z, high - low) for a, z, low, high, _ in stack]
 
 
-def _solve_lambda(scores: Counter) -> float:
+def _solve_lambda(scores: Counter, otherwise: float) -> float:
     """The positive root of E[exp(lambda s)] = 1 for clean text's token scores, whose mean is negative."""
     s, n = np.array(list(scores)), np.array(list(scores.values()), float)
     if not (s > 0).any() or (s * n).sum() >= 0:
-        return 2.0
+        return otherwise
     lo, hi = 1e-6, 50.0
     for _ in range(100):
         mid = (lo + hi) / 2
@@ -131,7 +135,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 0, held_out: int = -1, rows: int = 20_000, terms: int = 20_000, prior: float = 0.25, level: float = 0.01, least_docs: int = 5, least_odds: float = 1.0, drop: float = 0.25) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 0, held_out: int = -1, rows: int = 20_000, terms: int = 20_000, prior: float = 0.25, level: float = 0.01, least_docs: int = 5, least_odds: float = 1.0, drop: float = 0.25, lam_else: float = 2.0, lam_most: float = 5.0) -> Model:
     spark = docs.sparkSession
     arrow_batches(spark)
     held = sample(docs, labels, "toxic", folds=folds, held_out=held_out, rows=rows)
@@ -179,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 0, held_out: int = -
     clean = [r for r in rows_of if r["label"] != 1]
     scores = Counter(round(s, 1) for r in clean for s in r["hits"])
     scores[-drop] += max(1, sum(r["n"] for r in clean) - scores.total())
-    model.lam = min(5.0, _solve_lambda(scores))
+    model.lam = min(lam_most, _solve_lambda(scores, lam_else))
     floor = min(model.terms.values(), default=1.0)
     over = sum(s >= floor for r in clean for s in r["totals"])
     model.k = max(over, 0.5) / max(1.0, sum(r["n"] for r in clean) * math.exp(-model.lam * floor))
