@@ -1,4 +1,12 @@
-"""The corpus pipeline: quality rules, toxicity, near duplicates, packing; each stage's rows are the next one's documents."""
+"""The corpus pipeline: quality rules, toxicity, near duplicates, packing; each stage's rows are the next one's documents.
+
+Defined results: a null, empty or wordless text fails the quality base and goes in the first stage, so that no later
+stage sees one (each could: see its operator); a very long text is judged, compared and packed whole.  Rows that are
+repeated, and rows that share an id, are one document: the near-duplicate stage keeps one row of it.  Rows without an id are
+kept by every stage whose judgement of the text keeps them.  Empty tables go through as empty ones.  Without labels the
+quality base alone rejects, and no document is toxic.  All stages but the last return the documents' columns, extra ones
+among them, whatever their names.
+"""
 
 from __future__ import annotations
 
