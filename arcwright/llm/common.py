@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what the cluster names, else (tests) a temporary one."""
+    """The folder that driver and executors share: what the cluster names; in a local session without it a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arcwright-"))
         held = spark.sparkContext.getCheckpointDir()
     return held
@@ -41,7 +43,19 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     """
     path = spool_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.spooled = path
+    return out
+
+
+def unspool(*tables: DataFrame | None) -> None:
+    """Deletes what ``spool`` has written, once all that is read from it is written itself."""
+    for t in tables:
+        path = getattr(t, "spooled", None)
+        if path:
+            context = t.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def arrow_batches(spark: SparkSession, mb: int = 8) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import spool, unspool
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,17 +22,20 @@ def components(links: DataFrame) -> DataFrame:
         parents = spool(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("parent")), "parents")
         while True:
             above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-            jumped = spool(parents.join(above, "parent").select("node", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")), "parents")
-            parents = jumped.select("node", "parent")
+            jumped = spool(parents.select("node", "parent").join(above, "parent").select("node", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")), "parents")
+            unspool(parents)
+            parents = jumped
             if not jumped.where("moved").limit(1).count():
                 break
+        last = known
         if known is None:
-            known = parents.select("node", F.col("parent").alias("component"))
+            known = spool(parents.select("node", F.col("parent").alias("component")), "components")
         else:
             up = parents.select(F.col("node").alias("component"), "parent")
-            known = known.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        known = spool(known, "components")
-        a, b = parents.toDF("a", "x"), parents.toDF("b", "y")
-        edges = spool(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+            known = spool(known.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "components")
+        a, b = parents.select("node", "parent").toDF("a", "x"), parents.select("node", "parent").toDF("b", "y")
+        left = spool(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        unspool(last, parents, edges)
+        edges = left
         if not edges.limit(1).count():
             return known

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import slices
-from .common import arrow_batches, spool, words_of
+from .common import arrow_batches, spool, unspool, words_of
 from .components import components
 from .shingles import Hasher, Sketcher
 
@@ -138,6 +138,7 @@ def _across(docs: DataFrame, swept: DataFrame, width: int, percent: int, cells:
     rows = held.select("node", "size", "component", "bits", F.posexplode("prefix").alias("at", "key"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rows = spool(rows.join(mixed, "key", "left_semi").select("node", "size", "component", "bits", "at", "key"), "inside")
+    unspool(held)
     other = rows.toDF("other", "other_size", "other_component", "other_bits", "other_at", "key")
     # At the first shared shingle, what follows in either set must hold the overlap that the similarity takes.
     room = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at")) * (100 + percent) >= percent * (F.col("size") + F.col("other_size"))
@@ -145,7 +146,9 @@ def _across(docs: DataFrame, swept: DataFrame, width: int, percent: int, cells:
     fits = 100 * F.least("size", "other_size") >= percent * F.greatest("size", "other_size")
     alike = _differing("bits", "other_bits") * (100 + percent) <= (100 - percent) * (F.col("size") + F.col("other_size"))
     different = (F.col("node") < F.col("other")) & (F.col("component") != F.col("other_component"))
-    return rows.join(other, "key").where(different & room & fits & alike).select(*_ordered("node", "other"))
+    pairs = spool(rows.join(other, "key").where(different & room & fits & alike).select(*_ordered("node", "other")).distinct(), "pairs")
+    unspool(rows)
+    return pairs
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -154,7 +157,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
     full = spool(sets(docs.join(wanted, "doc_id", "left_semi"), width), "sets")
     both = pairs.join(full.toDF("b", "right"), "b").join(full.toDF("a", "left"), "a")
     shared = F.size(F.array_intersect("left", "right"))
-    return spool(both.where(100 * shared >= percent * (F.size("left") + F.size("right") - shared)).select("a", "b"), "confirmed")
+    out = spool(both.where(100 * shared >= percent * (F.size("left") + F.size("right") - shared)).select("a", "b"), "confirmed")
+    unspool(wanted, full)
+    return out
 
 
 def _ordered(a: str, b: str) -> list:
@@ -185,15 +190,19 @@ def links_of_nodes(docs: DataFrame, nodes: DataFrame, ties: DataFrame, *, width:
         if stage == "sweep":
             swept = spool(inside.join(buckets.select("key"), "key", "left_semi").select("node", "component").distinct(), "swept")
             pairs = _across(docs, swept, width, percent, cells)
+            unspool(swept)
         else:
             pairs = inside.join(buckets, "key").where((F.col("component") != F.col("hub_component")) & fits("size", "hub_size")).select(*_ordered("node", "hub"))
-        pairs = spool(pairs.distinct(), "pairs")
-        if not pairs.limit(1).count():
-            continue
-        new = _confirmed(docs, pairs, width, percent)
-        if new.limit(1).count():
-            found = new if found is None else found.unionAll(new)
-            known = components(found)
+            pairs = spool(pairs.distinct(), "pairs")
+        unspool(inside, buckets)
+        if pairs.limit(1).count():
+            new = _confirmed(docs, pairs, width, percent)
+            if new.limit(1).count():
+                found, last = new if found is None else found.unionAll(new), known
+                known = components(found)
+                unspool(last)
+        unspool(pairs)
+    unspool(shared)
     return known if found is not None else None
 
 
@@ -207,9 +216,11 @@ def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int =
     equal = spool(every.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node")), "equal-sets")
     named = every.join(equal, "set_key", "left")
     nodes = spool(named.where(F.col("doc_id") == F.col("node")).select("node", F.col("n_shingles").alias("size"), "bands").dropDuplicates(["node", "bands"]), "nodes")
+    out = spool(named.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")), "named")
+    unspool(every, equal)
     # Rows that share an id are one document: their nodes are tied together whatever their texts.
-    out = named.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"))
     known = links_of_nodes(docs, nodes, _ties(out.select("doc_id", "node")), width=width, percent=percent, first_bands=first_bands, cells=cells)
+    unspool(nodes)
     if known is not None:
         out = out.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     else:
