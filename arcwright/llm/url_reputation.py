@@ -95,23 +95,38 @@ def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     return F.when(host.rlike(_ADDRESS) | (found == ""), host).otherwise(found)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: lambdas would compute it for every item that they see."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def beta_quantile(a: Column, b: Column, share: float, points: int = 512) -> Column:
     """The ``share`` quantile of a beta distribution, by the trapezoid rule over the log odds, where its density is smooth and log-concave."""
+    soft = lambda u: F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u)))
     peak, spread = F.log(a / b), F.sqrt((a + b) / (a * b))
     low, high = peak - 12 * F.greatest(spread, 1 / a), peak + 12 * F.greatest(spread, 1 / b)
-    step = (high - low) / points
-    soft = lambda u: F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u)))
-    height = lambda u: F.exp(a * (u - peak) - (a + b) * (soft(u) - soft(peak)))
-    heights = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda k: height(low + step * k))
+    grid = F.struct(a.alias("a"), (a + b).alias("n"), peak.alias("peak"), soft(peak).alias("top"), low.alias("low"), ((high - low) / points).alias("step"))
     zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("found"))
-    goal = F.lit(share) * F.aggregate(heights, F.lit(0.0), lambda s, x: s + x)
 
-    def add(s: Column, x: Column) -> Column:
-        here = F.when(s["found"].isNull() & (s["sum"] + x >= goal), s["at"] - 0.5 + (goal - s["sum"]) / x)
-        return F.struct((s["sum"] + x).alias("sum"), (s["at"] + 1.0).alias("at"), F.coalesce(s["found"], here).alias("found"))
+    def height(g: Column, k: Column) -> Column:
+        u = g["low"] + g["step"] * k
+        return F.exp(g["a"] * (u - g["peak"]) - g["n"] * (soft(u) - g["top"]))
+
+    def crossed(heights: Column, goal: Column) -> Column:
+        """Where the running sum reaches the goal, in steps."""
+
+        def add(s: Column, x: Column) -> Column:
+            here = F.when(s["found"].isNull() & (s["sum"] + x >= goal), s["at"] - 0.5 + (goal - s["sum"]) / x)
+            return F.struct((s["sum"] + x).alias("sum"), (s["at"] + 1.0).alias("at"), F.coalesce(s["found"], here).alias("found"))
+
+        return F.aggregate(heights, zero, add)["found"]
+
+    def found(g: Column) -> Column:
+        heights = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda k: height(g, k))
+        place = _once(heights, lambda h: _once(F.lit(share) * F.aggregate(h, F.lit(0.0), lambda s, x: s + x), lambda goal: crossed(h, goal)))
+        return 1 / (1 + F.exp(-(g["low"] + g["step"] * place)))
 
-    u = low + step * F.aggregate(heights, zero, add)["found"]
-    return F.when(a <= 0, 0.0).when(b <= 0, 1.0).otherwise(1 / (1 + F.exp(-u)))
+    return F.when(a <= 0, 0.0).when(b <= 0, 1.0).otherwise(_once(grid, found))
 
 
 def _strength(members: DataFrame, least: float, most: float) -> float:
