@@ -81,7 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 0, held_out: int = -
                 room -= r["size"]
                 names.append(r["name"])
     first = F.col("name").isin(names)
-    chosen = held.where(first).select("label", F.substring(F.col("text").cast("binary"), 1, part).alias("part")).collect()
+    chosen = held.where(first).select("draw", "doc_id", "name", "label", F.substring(F.col("text").cast("binary"), 1, part).alias("part")).collect()
+    # In the order of the draw: what a dictionary becomes depends on the order of its texts.
+    chosen.sort(key=lambda r: (r["draw"], r["doc_id"], r["name"]))
     kinds = {y: [bytes(r["part"]) for r in chosen if r["label"] == y] for y in (0, 1)}
     # The only text of its kind serves for the dictionary and for the fit.
     lonely = [y for y in (0, 1) if counts[y] == len(kinds[y])]
